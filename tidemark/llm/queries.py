@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, mixing
+from . import fingerprints, huffman, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, lengths = huffman.store(_table(spark, sf_dir, "documents"), _tokenizer(), end=0)
+    return huffman.read_blocks(blocks, lengths).select("doc_id", "start", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,9 +32,16 @@ def op9_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), end=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_huffman_ids": op2_huffman_ids,
     "op3_sainte_lague_mix": op3_sainte_lague_mix,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
+    "op10_harmonic_packing": op10_harmonic_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
