@@ -103,8 +103,10 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, mos
 
     shards = placed.groupBy("source_no", "shard").agg(F.max("_to").alias("words"), F.first("quota").alias("quota"))
     shards = sainte_lague(shards, ["source_no"], ["shard"], "words", "quota", "_q")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         shards.where("words > 0")
+        .repartition(parts, "source_no", "shard")  # a shard's row becomes thousands of rows
         .withColumn("_n", F.ceil(F.col("words") / block_words).cast("long"))
         .withColumn("_q", F.least(F.col("_q"), F.lit(int(most)) * F.col("_n")))
         .select("source_no", "shard", "_n", "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("block"))
@@ -117,6 +119,8 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, mos
         .withColumn("_before", F.coalesce(F.sum("times").over(shard.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .select("source_no", "shard", "block", "times", "_before")
     )
+    # Written, so that Spark knows the size and does not take it for that of the shards' few rows.
+    blocks = written(blocks, "mix-blocks").hint("merge")
     # A document takes what lies between its two ends, each looked up in the block that holds it.
     first, last = (blocks.select("source_no", "shard", *[F.col(c).alias(f"_{n}_{c}") for c in ("block", "times", "_before")]) for n in ("a", "b"))
     full = placed.where("size > 0").withColumn("_a_block", F.floor(F.col("_from") / block_words)).withColumn("_b_block", F.floor((F.col("_to") - 1) / block_words))
