@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, huffman, mixing, packing, quality, simhash, toxicity
+from . import chat, fingerprints, flac, huffman, mixing, packing, quality, simhash, toxicity
+from .scratch import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.describe(written(flac.store(_table(spark, sf_dir, "documents")), "flac"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, lengths = huffman.store(_table(spark, sf_dir, "documents"), _tokenizer(), end=0)
     return huffman.read_blocks(blocks, lengths).select("doc_id", "start", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -41,6 +46,10 @@ def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(_table(spark, sf_dir, "documents"))
 
@@ -51,11 +60,13 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac_media": op1_flac_media,
     "op2_huffman_ids": op2_huffman_ids,
     "op3_sainte_lague_mix": op3_sainte_lague_mix,
     "op4_simhash_variants": op4_simhash_variants,
     "op5_toxicity_chain": op5_toxicity_chain,
     "op6_pu_quality": op6_pu_quality,
+    "op8_chat_snapshots": op8_chat_snapshots,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
