@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-LIMIT = 400_000
+LIMIT = 1_200_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -18,23 +19,52 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._known: dict[object, bytes] = {}
+        self._marks: dict[str, bytes] = {}
+        # A run of letters after a space is one unit of a byte-level BPE, so it can go to the model itself.
+        plain = self._tokenizer.normalizer is None and isinstance(self._tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and not self._tokenizer.pre_tokenizer.add_prefix_space
+        self._model = self._tokenizer.model if plain else None
+
+    def _word(self, word: str, space: str = " ") -> bytes | None:
+        """Ids of a space, letters and the marks that end them, if the word is no more than that: the
+        letters are one unit, the marks another."""
+        letters = word.rstrip(_MARKS)
+        if not letters.isalpha():
+            return None
+        shown = f"{space}{letters}".encode().decode("latin-1").translate(_SHOWN)
+        ids = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
+        return ids + self._mark(word[len(letters) :]) if len(letters) < len(word) else ids
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self._marks:
+            if len(self._marks) >= 10_000:
+                self._marks.clear()
+            self._marks[marks] = array("I", self._tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return self._marks[marks]
 
     def _learn(self, parts: set) -> None:
-        import numpy as np
-
-        if len(self._known) + len(parts) > LIMIT:
-            self._known.clear()
-        parts = list(parts)
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
+        known, rest = self._known, []
+        for p in parts:
+            ids = None
+            if self._model is not None and not isinstance(p, tuple):
+                line, _, more = p.partition("\n")
+                if not more:
+                    ids = self._word(p)
+                elif (left := self._word(line)) and (right := self._word(more, "")):  # one white space alone is a unit
+                    ids = left + self._mark("\n") + right
+            if ids is None:
+                rest.append(p)
+            else:
+                known[p] = ids
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
             # A first part stands alone in a tuple; the others follow a space.
-            found = self._tokenizer.encode_batch_fast([p[0] if isinstance(p, tuple) else " " + p for p in some], add_special_tokens=False)
-            self._known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
+            found = self._tokenizer.encode_batch_fast([p[0] if isinstance(p, tuple) else f" {p}" for p in some], add_special_tokens=False)
+            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -47,15 +77,26 @@ class Encoder:
                 parts = text.split(" ")
             parts[0] = (parts[0],)
             cut.append(parts)
-        new = set().union(*cut).difference(self._known)
-        if new:
-            self._learn(new)
-            if any(p not in self._known for parts in cut for p in parts):  # emptied meanwhile
-                self._learn(set().union(*cut).difference(self._known))
+        every = set().union(*cut)
+        new = every.difference(self._known)
+        if len(self._known) + len(new) > LIMIT:
+            self._known.clear()
+            new = every
+        self._learn(new)
         known = self._known.__getitem__
         return [b"".join(map(known, parts)) for parts in cut]
 
 
+def _bytes_shown() -> dict[int, str]:
+    """How byte-level vocabularies write the bytes: the printable ones as they are, the others in
+    order from the 256th character on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_SHOWN = _bytes_shown()
+_MARKS = ".,;:!?#$%&*|()[]{}<>/+-_=~^@"
 _run = re.compile(r"\s ").search
 _edge = re.compile(r"(?<=\S)(?= )")
 
