@@ -80,13 +80,9 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: flo
     return level.withColumn("target", F.coalesce(F.least("_cap", F.col("_level") * F.col("_w")), F.col("_cap"))).select("source", "source_no", "source_size", "docs", "target", "_total")
 
 
-def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, most: float = 2.0, seed: int = 42, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, spans of every document.
-
-    ``taken``: words that the mix takes of the document, repeats counted; at most ``most`` (a whole
-    number) times its size. ``first_word`` and ``n_words`` place the document in its shard.
-    """
-    sizes = written(docs.select("doc_id", "source", F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+def plan(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, most: float = 2.0, seed: int = 42, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(documents and their places in their shards, blocks and how often each is taken)."""
+    sizes = written(docs.select("doc_id", "source", F.xxhash64("text").alias("_same"), F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     sources = source_targets(sizes, weights, share, most)
     sources = sainte_lague(sources.withColumn("_one", F.lit(1)).withColumn("_house", F.round(F.col("_total") / block_words).cast("long")), ["_one"], ["source_no"], "target", "_house", "quota")
     sources = sources.select("source", "source_no", "source_size", "target", "quota", F.ceil(F.col("docs") / shard_docs).cast("long").alias("_shards"))
@@ -99,7 +95,7 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, mos
         .withColumn("_to", F.sum("size").over(W.partitionBy("source_no", "shard").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_from", F.col("_to") - F.col("size"))
     )
-    placed = written(placed.select("doc_id", "source", "size", "source_no", "source_size", "target", "quota", "shard", "_from", "_to"), "mix-placed")
+    placed = written(placed.select("doc_id", "_same", "source", "size", "source_no", "source_size", "target", "quota", "shard", "_from", "_to"), "mix-placed")
 
     shards = placed.groupBy("source_no", "shard").agg(F.max("_to").alias("words"), F.first("quota").alias("quota"))
     shards = sainte_lague(shards, ["source_no"], ["shard"], "words", "quota", "_q")
@@ -121,6 +117,16 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, mos
     )
     # Written, so that Spark knows the size and does not take it for that of the shards' few rows.
     blocks = written(blocks, "mix-blocks").hint("merge")
+    return placed, blocks
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document, and its place in its shard.
+
+    ``taken``: words that the mix takes of the document, repeats counted; at most ``most`` (a whole
+    number) times its size.
+    """
+    placed, blocks = plan(docs, block_words=block_words, **how)
     # A document takes what lies between its two ends, each looked up in the block that holds it.
     first, last = (blocks.select("source_no", "shard", *[F.col(c).alias(f"_{n}_{c}") for c in ("block", "times", "_before")]) for n in ("a", "b"))
     full = placed.where("size > 0").withColumn("_a_block", F.floor(F.col("_from") / block_words)).withColumn("_b_block", F.floor((F.col("_to") - 1) / block_words))
@@ -128,3 +134,27 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, mos
     taken = full.join(first, ["source_no", "shard", "_a_block"], "left").join(last, ["source_no", "shard", "_b_block"], "left").withColumn("taken", F.coalesce(upto("b", "_to") - upto("a", "_from"), F.lit(0)))
     out = ["doc_id", "source", "size", "source_size", "target", "taken", "shard", F.col("_from").alias("first_word")]
     return taken.select(*out).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+
+
+def take(docs: DataFrame, block_words: int = BLOCK_WORDS, **how) -> DataFrame:
+    """The mixed documents, with all columns of ``docs``: a row for each time round in which words of
+    the document are taken, its text the words taken then, in order. A column n_chars follows the text.
+
+    Rows that agree in doc_id, source and text are one document here; a document without words is not
+    in the mix.
+    """
+    placed, blocks = plan(docs, block_words=block_words, **how)
+    at = F.explode(F.sequence(F.floor(F.col("_from") / block_words), F.floor((F.col("_to") - 1) / block_words))).alias("block")
+    parts = placed.where("size > 0").select("doc_id", "_same", "source_no", "shard", "source", "_from", "_to", at).join(blocks, ["source_no", "shard", "block"]).where("times > 0")
+    first = F.greatest(F.col("block") * block_words, F.col("_from")) - F.col("_from")
+    end = F.least((F.col("block") + 1) * block_words, F.col("_to")) - F.col("_from")
+    parts = parts.select("doc_id", "_same", "source", "times", first.cast("int").alias("s"), end.cast("int").alias("e"))
+    parts = parts.select("doc_id", "_same", "source", "s", "e", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_round")).withColumn("_part", F.struct("s", "e"))
+    rounds = parts.groupBy("doc_id", "_same", "source", "_round").agg(F.array_sort(F.collect_set("_part")).alias("_parts"))
+    rounds = rounds.select(*[F.col(c).alias(f"_r_{c}") for c in ("doc_id", "_same", "source")], "_parts")
+    on = docs["doc_id"].eqNullSafe(F.col("_r_doc_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_r__same")) & docs["source"].eqNullSafe(F.col("_r_source"))
+    got = docs.join(rounds, on).withColumn("_words", F.expr("regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
+    got = got.withColumn("text", F.expr("array_join(flatten(transform(_parts, p -> slice(_words, p.s + 1, p.e - p.s))), '')"))
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return got.select(*docs.columns)

@@ -112,3 +112,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs.select("doc_id", "text"), learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    model = learn(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.array([float(surface(x) @ model[:-1]) for x in batch.column("text").to_pylist()]) + model[-1]
+            yield batch.filter(pa.array(1 / (1 + np.exp(-z)) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, flac, huffman, mixing, packing, quality, simhash, toxicity
+from . import chat, fingerprints, flac, huffman, mixing, packing, quality, simhash, substrings, toxicity
 from .scratch import written
 
 
@@ -46,6 +46,10 @@ def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_variants": op4_simhash_variants,
     "op5_toxicity_chain": op5_toxicity_chain,
     "op6_pu_quality": op6_pu_quality,
+    "op7_compact_windows": op7_compact_windows,
     "op8_chat_snapshots": op8_chat_snapshots,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
     "op10_harmonic_packing": op10_harmonic_packing,

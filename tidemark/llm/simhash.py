@@ -20,6 +20,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,3 +154,138 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(names, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near-copies by verified likeness of five-word shingles
+
+TABLES = 3
+SPREAD = 3
+LIKENESS = 0.8
+
+
+def word_fingerprints(text: str | None) -> list[int]:
+    """``TABLES`` fingerprints of the words of a text (signed), each word weighted by the logarithm of one
+    more than its count. A changed word spoils five shingles but one word, so two texts of a likeness
+    of 0.8 in shingles are nearer in these than in fingerprints of shingles."""
+    counts = Counter((text or "").encode().lower().split())
+    if not counts:
+        return [0] * TABLES
+    hashes = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w, 42) for w in counts)
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(counts), -1), axis=1)
+    weight = np.log1p(np.fromiter(counts.values(), np.float64, len(counts))).round(6)
+    return np.packbits(2 * (weight @ bits) > weight.sum()).view(">i8").tolist()
+
+
+def run_pairs(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs to verify of the documents that share a signature: all near ones of up to four, and for
+    more those with the one nearest to the majority of bits, and with the first."""
+    if len(ids) <= 4:
+        return [(int(ids[i]), int(ids[j])) for j in range(len(ids)) for i in range(j) if int(fps[i] ^ fps[j]).bit_count() <= SPREAD]
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(fps)).view(">u8")[0]
+    centre = int(np.bitwise_count(fps ^ np.uint64(middle)).argmin())
+    out = []
+    for c in {0, centre}:
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[c]) <= SPREAD)
+        out += [(int(ids[c]), int(ids[i])) for i in near if i != c]
+    return out
+
+
+def pairs(texts: DataFrame) -> DataFrame:
+    """a, b (a < b): documents whose word fingerprints share a deletion variant and differ in SPREAD = 3
+    bits or fewer, under any of the tables. Cut into halves, one half differs by one bit at most.
+
+    A run of one signature is handled in parts of ``RUN`` documents, in order of fingerprint; the first
+    document of the run stands in each part, so parts hang together.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masks = F.array(*[F.lit(np.uint64(~(1 << bit) & (0xFFFFFFFF if bit < 32 else 0xFFFFFFFF << 32) & (2**64 - 1)).astype(np.int64).item()) for bit in range(64)])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_fingerprints(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "fps"])
+
+    found = written(texts.select("doc_id", "text").mapInArrow(prints, "doc_id long, fps array<bigint>"), "word-prints")
+    signed = found.select("doc_id", F.posexplode("fps").alias("t", "fp")).select("doc_id", "t", "fp", F.posexplode(masks).alias("bit", "mask"))
+    # Table, bit and rest in one number; two signatures that fall together cost a comparison.
+    signed = signed.select(F.xxhash64("t", "bit", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)
+
+        def told(rows: np.ndarray, last: bool) -> tuple[np.ndarray, list]:
+            if not len(rows):
+                return rows, []
+            heads = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            ends = np.append(heads[1:], len(rows))
+            whole = len(heads) if last else len(heads) - 1
+            out = []
+            for i in np.flatnonzero(ends[:whole] - heads[:whole] > 1):
+                out += run_pairs(rows[heads[i] : ends[i], 1].view(np.uint64), rows[heads[i] : ends[i], 2])
+            rest = rows[len(rows) if last else heads[-1] :]
+            if len(rest) > RUN:
+                out += run_pairs(np.ascontiguousarray(rest[:, 1]).view(np.uint64), rest[:, 2])
+                rest = rest[:1]
+            return rest, out
+
+        for batch in batches:
+            new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            held, out = told(np.ascontiguousarray(np.concatenate([held, new])), False)
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+        _, out = told(held, True)
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+
+    dealt = signed.repartition(parts, "key").sortWithinPartitions("key", "fp", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def verified(candidates: DataFrame, texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """Of the pairs a, b those whose five-word shingles are alike by ``likeness`` or more."""
+    from .substrings import WORDS, shingles
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                found = shingles(text)
+                if not len(found):  # fewer words than a shingle: they are one
+                    words = (text or "").encode().split()
+                    found = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if 0 < len(words) < WORDS else [], np.uint64)
+                out.append(np.unique((found >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "x"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= likeness * max(len(x), len(y)) else 0
+                keep.append(both >= likeness * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    known = written(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, x binary"), "shingle-sets")
+    both = candidates.join(known.withColumnsRenamed({"doc_id": "a", "x": "_x"}), "a").join(known.withColumnsRenamed({"doc_id": "b", "x": "_y"}), "b")
+    return both.select("a", "b", "_x", "_y").mapInArrow(near, "a long, b long")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of exact and near copies: the one with the smallest doc_id.
+
+    Equal texts are one group at once. Of the others, candidates come from ``pairs`` and are links if
+    verified. Rows with a null doc_id are grouped by equal text alone, and lose to any with a doc_id.
+    """
+    same = [F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))) for seed in (1, 2)]
+    marked = docs.withColumns({"_k": same[0], "_l": same[1]})
+    first = written(marked.groupBy("_k", "_l").agg(F.min("doc_id").alias("_first")), "first-copies")
+    # A copy's doc_id is not the smallest of its text; ids alone are shuffled, never texts.
+    ids = written(marked.select("doc_id", "_k", "_l").join(first, ["_k", "_l"]).where("doc_id = _first").select("doc_id").distinct(), "distinct-texts")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = written(pairs(texts), "pairs")
+    roots = components(verified(found, texts))
+    gone = roots.select(F.col("node").alias("doc_id"))
+    stay = written(ids.join(gone, "doc_id", "left_anti"), "staying")
+    # Of rows that share a doc_id one stays too.
+    out = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    unnamed = marked.where("doc_id is null").join(first.where("_first is null"), ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"])
+    return out.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
