@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, flac, huffman, mixing, packing, quality, simhash, substrings, toxicity
+from .oracle import ORACLE_SQL
 from .scratch import written
 
 
@@ -63,6 +64,8 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op2_huffman_ids": op2_huffman_ids,
@@ -74,6 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_snapshots": op8_chat_snapshots,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
     "op10_harmonic_packing": op10_harmonic_packing,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
