@@ -154,7 +154,8 @@ def take(docs: DataFrame, block_words: int = BLOCK_WORDS, **how) -> DataFrame:
     rounds = rounds.select(*[F.col(c).alias(f"_r_{c}") for c in ("doc_id", "_same", "source")], "_parts")
     on = docs["doc_id"].eqNullSafe(F.col("_r_doc_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_r__same")) & docs["source"].eqNullSafe(F.col("_r_source"))
     got = docs.join(rounds, on).withColumn("_words", F.expr("regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
-    got = got.withColumn("text", F.expr("array_join(flatten(transform(_parts, p -> slice(_words, p.s + 1, p.e - p.s))), '')"))
+    # The words are named twice, else Spark would find them anew for each part.
+    got = got.withColumn("text", F.expr("if(size(_words) = 0, '', array_join(flatten(transform(_parts, p -> slice(_words, p.s + 1, p.e - p.s))), ''))"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return got.select(*docs.columns)
