@@ -6,22 +6,11 @@ is one made under the local temporary folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return f"file://{_own[app]}"
+from ..sources.shared import shared_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
