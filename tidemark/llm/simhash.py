@@ -191,9 +191,10 @@ def run_pairs(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def pairs(texts: DataFrame) -> DataFrame:
+def pairs(texts: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """a, b (a < b): documents whose word fingerprints share a deletion variant and differ in SPREAD = 3
     bits or fewer, under any of the tables. Cut into halves, one half differs by one bit at most.
+    ``among``: the doc_ids that take part, if not all do; they meet the fingerprints, not the texts.
 
     A run of one signature is handled in parts of ``RUN`` documents, in order of fingerprint; the first
     document of the run stands in each part, so parts hang together.
@@ -206,6 +207,8 @@ def pairs(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_fingerprints(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     found = written(texts.select("doc_id", "text").mapInArrow(prints, "doc_id long, fps array<bigint>"), "word-prints")
+    if among is not None:
+        found = found.join(among.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signed = found.select("doc_id", F.posexplode("fps").alias("t", "fp")).select("doc_id", "t", "fp", F.posexplode(masks).alias("bit", "mask"))
     # Table, bit and rest in one number; two signatures that fall together cost a comparison.
     signed = signed.select(F.xxhash64("t", "bit", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "doc_id")
@@ -264,7 +267,8 @@ def verified(candidates: DataFrame, texts: DataFrame, likeness: float = LIKENESS
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    known = written(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, x binary"), "shingle-sets")
+    texts = texts.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = written(texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, x binary"), "shingle-sets")
     both = candidates.join(known.withColumnsRenamed({"doc_id": "a", "x": "_x"}), "a").join(known.withColumnsRenamed({"doc_id": "b", "x": "_y"}), "b")
     return both.select("a", "b", "_x", "_y").mapInArrow(near, "a long, b long")
 
@@ -274,18 +278,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Equal texts are one group at once. Of the others, candidates come from ``pairs`` and are links if
     verified. Rows with a null doc_id are grouped by equal text alone, and lose to any with a doc_id.
+
+    Tables of ids grow with the documents, so they are joined by sorting at every size; whole texts are
+    shuffled twice, to verify them and to keep those that stay.
     """
     same = [F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))) for seed in (1, 2)]
     marked = docs.withColumns({"_k": same[0], "_l": same[1]})
     first = written(marked.groupBy("_k", "_l").agg(F.min("doc_id").alias("_first")), "first-copies")
     # A copy's doc_id is not the smallest of its text; ids alone are shuffled, never texts.
-    ids = written(marked.select("doc_id", "_k", "_l").join(first, ["_k", "_l"]).where("doc_id = _first").select("doc_id").distinct(), "distinct-texts")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = written(pairs(texts), "pairs")
-    roots = components(verified(found, texts))
+    ids = written(marked.select("doc_id", "_k", "_l").join(first.hint("merge"), ["_k", "_l"]).where("doc_id = _first").select("doc_id").distinct(), "distinct-texts")
+    found = written(pairs(docs, ids), "pairs")
+    roots = components(verified(found, docs))
     gone = roots.select(F.col("node").alias("doc_id"))
     stay = written(ids.join(gone, "doc_id", "left_anti"), "staying")
     # Of rows that share a doc_id one stays too.
-    out = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     unnamed = marked.where("doc_id is null").join(first.where("_first is null"), ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"])
     return out.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
