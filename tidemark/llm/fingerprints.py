@@ -70,23 +70,24 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = (span["lo"] or 0), (span["hi"] or 0)
     width = max(1, -(-(hi - lo + 1) * BUCKET // max(1, span["n"])))
-    docs = docs.withColumn("_bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    docs = docs.withColumn("_bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))).withColumn("_tie", F.xxhash64("text"))
     heads = docs.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
     line = W.partitionBy(F.lit(1)).orderBy(F.desc("_bucket"))
     heads = heads.withColumn("_above", F.coalesce(F.lag("_bucket").over(line), F.min("_bucket").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    # By bucket alone, so that this join and the window below read one and the same exchange.
+    # By bucket alone and with the same columns, so that this join and the window below read one and the
+    # same exchange.
     top = docs.join(heads.hint("merge"), "_bucket").where(F.coalesce(F.col("doc_id") == F.col("_head"), F.col("doc_id").isNull() & F.col("_head").isNull()))
-    top = top.withColumn("_first", F.row_number().over(W.partitionBy("_above").orderBy(F.xxhash64("text")))).where("_first = 1")
+    top = top.withColumn("_first", F.row_number().over(W.partitionBy("_above").orderBy("_tie"))).where("_first = 1")
     top = top.select(F.col("_above").alias("_bucket"), *[F.col(c).alias(f"_top_{c}") for c in carry])
     order = W.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_tie")
-    inside = docs.withColumn("_tie", F.xxhash64("text"))
+    inside = docs
     for c in carry:
         inside = inside.withColumn(f"_lead_{c}", F.lead(c).over(order))
     inside = inside.withColumn("_last", F.lead(F.lit(True)).over(order).isNull())
     ends = inside.join(top.hint("merge"), "_bucket", "left")
     for c in carry:
         ends = ends.withColumn(f"next_{c}", F.when(F.col("_last"), F.col(f"_top_{c}")).otherwise(F.col(f"_lead_{c}")))
-    return ends.select(*[c for c in docs.columns if c != "_bucket"], *[f"next_{c}" for c in carry])
+    return ends.select(*[c for c in docs.columns if c not in ("_bucket", "_tie")], *[f"next_{c}" for c in carry])
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
