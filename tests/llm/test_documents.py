@@ -130,6 +130,43 @@ def test_a_large_group_of_near_copies(docs_of, monkeypatch):
     assert [r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()] == [0]
 
 
+def brute_kept(rows):
+    """doc_ids that stay: the smallest of each set connected by a likeness of 0.8 of five-word shingles."""
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    root = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if root[i] != root[j] and (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return sorted({rows[r][0] for r in root})
+
+
+def templates(seed, n=150, copies=10):
+    """Documents of one template, mostly less alike than 0.8, and copies of some with one word changed."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(480)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in range(20, 480, 30):
+            words[at] = f"slot{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    for k, i in enumerate(rng.choice(n, copies, replace=False)):
+        words = rows[i][1].split()
+        words[int(rng.integers(0, 480))] = f"edit{k}"
+        rows.append((1000 + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_copies_among_template_documents(docs_of, seed):
+    rows = templates(seed)
+    want = brute_kept(rows)
+    assert len(want) > 100 and max(want) < 1000
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == want
+
+
 # passages
 
 
