@@ -167,6 +167,33 @@ def test_near_copies_among_template_documents(docs_of, seed):
     assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == want
 
 
+def block_edits(seed=0, n=20, words=300):
+    rng = np.random.default_rng(seed)
+    text = lambda k: [f"w{i}" for i in rng.zipf(1.3, k) % 4000]
+    rows, later = [], 0
+    for i in range(n):
+        x = text(words)
+        rows.append((i, " ".join(x)))
+        at = int(rng.integers(0, words - 60))
+        for y in (x + text(words // 10), x[: words * 9 // 10], x + text(words * 18 // 100), x[:at] + text(15) + x[at + 15 :], text(30) + x, x[: words * 84 // 100]):
+            rows.append((1000 + (later := later + 1), " ".join(y)))
+    return rows
+
+
+def test_copies_with_blocks_added_removed_and_replaced(docs_of):
+    rows = block_edits()
+    want = brute_kept(rows)
+    assert want == list(range(20))
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == want
+
+
+@pytest.mark.parametrize("common", [1, 4, 10**9])
+def test_prefixes_meet_at_the_likeness_whatever_the_order(docs_of, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rows = block_edits(1, 6) + [(k + 5000, t) for k, t in templates(2, 30, 5)]
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == brute_kept(rows)
+
+
 # passages
 
 
