@@ -240,6 +240,37 @@ def test_passages(docs_of):
     assert substrings.passages(docs_of([])).count() == 0
 
 
+def test_exact_passages_among_template_variants(docs_of):
+    rng = np.random.default_rng(4)
+    rows, want, k = [], set(), 0
+    for g in range(20):
+        base = [f"g{g}t{i}" for i in range(80)]
+
+        def variant():
+            words = list(base)
+            for at in range(10, 80, 20):
+                words[at] = f"slot{rng.integers(0, 10**6)}"
+            return words
+
+        copy = variant()
+        for n, words in enumerate([*[variant() for _ in range(5)], copy, *[variant() for _ in range(40)], copy]):
+            extra = [[f"x{rng.integers(0, 10**9)}" for _ in range(20)] for _ in range(2)]
+            rows.append((k, " ".join([*extra[0], *words, *extra[1]])))
+            if n == 46:
+                want.add(k)
+            k += 1
+    found = substrings.passages(docs_of(rows)).collect()
+    assert want <= {r.doc_id for r in found if r.end_word - r.start_word >= 80}
+
+
+@pytest.mark.parametrize("run", [8, 10**6])
+def test_ties_in_parts(docs_of, monkeypatch, run):
+    monkeypatch.setattr(substrings, "RUN", run)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, " ".join(f"d{k}x{i}" for i in range(30)) + " " + passage) for k in range(40)]
+    assert {r.doc_id for r in substrings.passages(docs_of(rows)).collect()} == set(range(1, 40))
+
+
 def test_passages_are_cut_out(docs_of):
     docs = docs_of([(k, " ".join(w)) for k, w in passage_docs().items()] + [(50, None), (51, "")])
     left = {r.doc_id: r for r in substrings.without(docs, substrings.passages(docs)).collect()}
