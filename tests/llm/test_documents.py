@@ -240,6 +240,23 @@ def test_passages(docs_of):
     assert substrings.passages(docs_of([])).count() == 0
 
 
+def test_edited_passages_in_other_places():
+    rng = np.random.default_rng(8)
+    p1, p2, q1, q2, between = (rng.integers(0, 2**32, n).astype("<u4") for n in (76, 76, 76, 76, 60))
+    for p, q in ((p1, q1), (p2, q2)):
+        q[:] = p
+        q[36:41] = rng.integers(0, 2**32, 5)  # one word edited
+    joint = rng.integers(0, 2**32, 4).astype("<u4")
+    b = np.concatenate([q1, joint, q2])
+    for a in (np.concatenate([p1, between, p2]), np.concatenate([p2, between, p1])):
+        got = substrings.verify(b, a)
+        assert [(s, e) for s, e, *_ in got] == [(0, 76), (80, 156)] and all(like >= 0.8 for *_, like in got)
+        for s, _, start, *_ in got:
+            assert b[s] == a[start]
+    line = np.full(200, 7, "<u4")
+    assert substrings.verify(line, line) and substrings.verify(b, np.zeros(0, "<u4")) == []
+
+
 def test_exact_passages_among_template_variants(docs_of):
     rng = np.random.default_rng(4)
     rows, want, k = [], set(), 0
