@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import tokens
-from .scratch import written
+from .scratch import drop_written, written
 
 MAX_BITS = 18
 STEP = 64
@@ -130,39 +130,49 @@ def decode(payload: bytes, doc_lengths: np.ndarray, steps: np.ndarray, table: np
     return ids
 
 
+def id_type(tokenizer: str, end: int) -> str:
+    """numpy's name of the narrowest type that holds all ids: 16 bits, or 32 for a larger vocabulary."""
+    return "<u2" if max(tokens.vocabulary_size(tokenizer), end + 1) <= 1 << 16 else "<u4"
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, ids (little-endian, 16 bits each: the vocabulary has at most 65,536) with the end id."""
+    """doc_id, ids (little-endian, of ``id_type``) with the end id."""
+    kind = id_type(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in tokens.some_at_a_time(texts):
-                found = [np.append(np.frombuffer(x, "<u4"), end).astype("<u2").tobytes() for x in encoder.encode([t or "" for t in texts[a:b]])]
+                found = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)).astype(kind).tobytes() for x in encoder.encode([t or "" for t in texts[a:b]])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, IDS)
 
 
-def count_ids(ids: DataFrame) -> np.ndarray:
+def count_ids(ids: DataFrame, kind: str = "<u2") -> np.ndarray:
+    """How often each id occurs; the driver gets one row an id of the vocabulary."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             values = batch.column(0).cast(pa.large_binary())
             ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
             if len(values):
-                total += np.bincount(np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=1 << 16)
+                some = np.bincount(np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+                total = np.pad(total, (0, max(0, len(some) - len(total))))
+                total[: len(some)] += some
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(total[has])], ["id", "n"])
 
     rows = ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << 16, np.int64)
+    counts = np.zeros(max([1, *(row["id"] + 1 for row in rows)]), np.int64)
     for row in rows:
         counts[row["id"]] = row["n"]
     return counts
 
 
-def write_blocks(ids: DataFrame, lengths: np.ndarray, name: str = "huffman") -> DataFrame:
+def write_blocks(ids: DataFrame, lengths: np.ndarray, kind: str = "<u2", name: str = "huffman") -> DataFrame:
     """Write the blocks in ascending doc_id; ``part`` numbers the ranges of doc_id in that order."""
     spark = ids.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -173,7 +183,7 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, name: str = "huffman") ->
         for batch in batches:
             keys = batch.column(0)
             part = np.where(keys.is_null(), 0, np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
-            values = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(1)]
+            values = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(1)]
             for a in range(0, len(values), 256):
                 some = values[a : a + 256]
                 sizes = np.array([len(x) for x in some])
@@ -229,6 +239,8 @@ def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
 
 def store(docs: DataFrame, tokenizer: str, end: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Tokenize, code and write; the blocks and the code lengths that read them."""
-    ids = written(token_ids(docs, tokenizer, end), "ids")
-    lengths = code_lengths(count_ids(ids))
-    return write_blocks(ids, lengths), lengths
+    ids, kind = written(token_ids(docs, tokenizer, end), "ids"), id_type(tokenizer, end)
+    lengths = code_lengths(count_ids(ids, kind))
+    blocks = write_blocks(ids, lengths, kind)
+    drop_written(ids)
+    return blocks, lengths

@@ -1,16 +1,23 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
-Words are the unit. Every source has a target number of words; targets become whole numbers of
-equal-sized blocks by highest quotients (divisors 1, 3, 5, ...), first over sources and then over
-the shards of each source. Inside a shard, whose documents lie end to end in doc_id order, a seeded
-order of the blocks says which are taken once more than the others.
+Words are the unit. Every source has a target number of words. Its words, laid end to end shard after
+shard and in doc_id order inside a shard, are cut into blocks of equal size; the last block of a
+source alone may be shorter. Targets become whole numbers of blocks by highest quotients (divisors 1, 3,
+5, ...), first over sources and then over the shards of each source. Inside a shard a seeded order of the
+blocks says which are taken once more than the others.
 
-Shards hold about ``SHARD_DOCS`` documents, so a source with a third of all rows is many shards and
-no window is larger than a shard, but for windows over the tables of sources and of shards.
+A source that stops at its cap takes all of it; one that has less than a block is taken as often as comes
+nearest its target; the others share the rest of the blocks. A source's quota is its size some times over,
+the short block included, and so many of its full blocks once more, by quotients over its shards. Those of a
+shard are never more than its full blocks, so nothing of a quota is lost.
+
+A shard holds about ``SHARD_DOCS`` documents, or more where a source would have over ``MOST_SHARDS`` shards. No
+window is larger than a shard, but for those over the tables of sources and of a source's shards.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source of
-its own and sorts last; a null doc_id sorts first in its shard; repeated rows are documents of their
-own; an empty table gives an empty table. Columns other than doc_id, text and source are ignored.
+its own and sorts last; a null doc_id sorts first in its shard, which is chosen by its text; repeated rows
+are documents of their own in ``mix`` and one document in ``take``; an empty table gives an empty table.
+Columns other than doc_id, text and source are ignored by ``mix`` and carried by ``take``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .scratch import written
+from .scratch import drop_written, written
 
 BLOCK_WORDS = 64
 SHARD_DOCS = 2048
+MOST_SHARDS = 1 << 16
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -58,7 +66,7 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], weight: s
     return base.join(quotients, on, "left").withColumn(to, F.col("_base") + F.coalesce("_more", F.lit(0))).drop("_sum", "_n", "_base", "_off", "_more")
 
 
-def source_targets(sizes: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: list[int], share: float, most: int) -> DataFrame:
     """One row a source: source_no (from 1, by code point, null last), source_size, docs, target."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     every, order = W.partitionBy("_one"), W.partitionBy("_one").orderBy("_ratio", "source_no")
@@ -67,7 +75,7 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: flo
         by.withColumn("_one", F.lit(1))
         .withColumn("source_no", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())))
         .withColumn("_w", w)
-        .withColumn("_cap", most * F.col("source_size"))
+        .withColumn("_cap", float(most) * F.col("source_size"))
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
         .withColumn("_total", share * F.sum("source_size").over(every))
         .withColumn("_capped", F.coalesce(F.sum("_cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
@@ -80,58 +88,75 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: flo
     return level.withColumn("target", F.coalesce(F.least("_cap", F.col("_level") * F.col("_w")), F.col("_cap"))).select("source", "source_no", "source_size", "docs", "target", "_total")
 
 
-def plan(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, most: float = 2.0, seed: int = 42, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(documents and their places in their shards, blocks and how often each is taken)."""
-    sizes = written(docs.select("doc_id", "source", F.xxhash64("text").alias("_same"), F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    sources = source_targets(sizes, weights, share, most)
-    sources = sainte_lague(sources.withColumn("_one", F.lit(1)).withColumn("_house", F.round(F.col("_total") / block_words).cast("long")), ["_one"], ["source_no"], "target", "_house", "quota")
-    sources = sources.select("source", "source_no", "source_size", "target", "quota", F.ceil(F.col("docs") / shard_docs).cast("long").alias("_shards"))
+def plan(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, most: int = 2, seed: int = 42, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents and their places in their sources, blocks and how often each is taken)."""
+    size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
+    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("_same"), size.alias("size"), digest.alias("_digest"))
+    sizes = written(sizes.dropDuplicates(["doc_id", "source", "_same"]) if distinct else sizes, "mix-sizes")
+
+    full = F.floor(F.col("source_size") / block_words).cast("long")
+    sources = source_targets(sizes, weights, share, most).withColumn("_full", full)
+    sources = sources.withColumn("_own", (F.col("target") >= most * F.col("source_size")) | (F.col("_full") == 0))
+    spent = F.coalesce(F.sum(F.when(F.col("_own"), F.col("target"))).over(W.partitionBy(F.lit(1))), F.lit(0.0))
+    sources = sources.withColumn("_house", F.greatest(F.lit(0), F.round((F.col("_total") - spent) / block_words)).cast("long"))
+    sources = sainte_lague(sources, ["_own"], ["source_no"], "target", "_house", "quota")
+    words = F.least(F.col("quota") * block_words, most * F.col("source_size"))
+    times = F.when(F.col("_own"), F.floor(F.col("target") / F.greatest(F.lit(1), F.col("source_size")) + 0.5)).otherwise(F.floor(words / F.greatest(F.lit(1), F.col("source_size")))).cast("long")
+    sources = sources.withColumn("_times", times).withColumn("_rest", F.when(F.col("_own"), 0).otherwise(F.least(F.col("_full"), F.floor((words - F.col("_times") * F.col("source_size")) / block_words + 0.5))).cast("long"))
+    sources = written(sources.select("source", "source_no", "source_size", "target", "_full", "_times", "_rest", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("docs") / shard_docs)).cast("long").alias("_shards")), "mix-sources")
 
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     placed = (
         sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]), "inner")
         .drop(sources["source"])
-        .withColumn("shard", digest % F.col("_shards"))
+        .withColumn("shard", F.col("_digest") % F.col("_shards"))
         .withColumn("_to", F.sum("size").over(W.partitionBy("source_no", "shard").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_to") - F.col("size"))
     )
-    placed = written(placed.select("doc_id", "_same", "source", "size", "source_no", "source_size", "target", "quota", "shard", "_from", "_to"), "mix-placed")
+    inside = written(placed.select("doc_id", "_same", "source", "size", "source_no", "source_size", "target", "shard", "_to"), "mix-placed")
+
+    line = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    shards = inside.groupBy("source_no", "shard").agg(F.max("_to").alias("_words")).withColumn("_start", F.coalesce(F.sum("_words").over(line), F.lit(0)))
+    # A block belongs to the shard that its first word is in.
+    begins = lambda at: F.least(F.col("_full"), F.ceil(at / block_words).cast("long"))
+    shards = shards.join(sources.select("source_no", "_full", "_times", "_rest"), "source_no").withColumn("_first", begins(F.col("_start"))).withColumn("_many", begins(F.col("_start") + F.col("_words")) - F.col("_first"))
+    shards = sainte_lague(shards, ["source_no"], ["shard"], "_many", "_rest", "_won").withColumn("_upto", F.coalesce(F.sum(F.col("_times") * F.col("_many") + F.col("_won")).over(line), F.lit(0)))
+    shards = written(shards.select("source_no", "shard", "_start", "_first", "_many", "_times", "_won", "_upto"), "mix-shards")
 
-    shards = placed.groupBy("source_no", "shard").agg(F.max("_to").alias("words"), F.first("quota").alias("quota"))
-    shards = sainte_lague(shards, ["source_no"], ["shard"], "words", "quota", "_q")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
-        shards.where("words > 0")
+        shards.where("_many > 0")
         .repartition(parts, "source_no", "shard")  # a shard's row becomes thousands of rows
-        .withColumn("_n", F.ceil(F.col("words") / block_words).cast("long"))
-        .withColumn("_q", F.least(F.col("_q"), F.lit(int(most)) * F.col("_n")))
-        .select("source_no", "shard", "_n", "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("block"))
+        .select("source_no", "shard", "_times", "_won", "_upto", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_many") - 1)).alias("block"))
     )
     shard = W.partitionBy("source_no", "shard")
     lot = F.md5(F.concat_ws(":", F.lit(seed), "source_no", "shard", "block"))
     blocks = (
         blocks.withColumn("_rank", F.row_number().over(shard.orderBy(lot, "block")))
-        .withColumn("times", F.floor(F.col("_q") / F.col("_n")).cast("long") + (F.col("_rank") <= F.col("_q") % F.col("_n")).cast("long"))
-        .withColumn("_before", F.coalesce(F.sum("times").over(shard.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select("source_no", "shard", "block", "times", "_before")
+        .withColumn("times", F.col("_times") + (F.col("_rank") <= F.col("_won")).cast("long"))
+        .withColumn("_before", F.col("_upto") + F.coalesce(F.sum("times").over(shard.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .select("source_no", "block", "times", "_before")
     )
+    short = sources.where(F.col("source_size") > F.col("_full") * block_words)
+    blocks = blocks.unionByName(short.select("source_no", F.col("_full").alias("block"), F.col("_times").alias("times"), (F.col("_times") * F.col("_full") + F.col("_rest")).alias("_before")))
     # Written, so that Spark knows the size and does not take it for that of the shards' few rows.
     blocks = written(blocks, "mix-blocks").hint("merge")
-    return placed, blocks
+    drop_written(sizes)
+    placed = inside.join(shards.select("source_no", "shard", "_start"), ["source_no", "shard"]).withColumn("_to", F.col("_to") + F.col("_start")).withColumn("_from", F.col("_to") - F.col("size"))
+    return placed.select("doc_id", "_same", "source", "size", "source_no", "source_size", "target", "shard", "_from", "_to"), blocks
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, **how) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document, and its place in its shard.
+    """doc_id, source, size, source_size, target, taken of every document, and its place in its source.
 
     ``taken``: words that the mix takes of the document, repeats counted; at most ``most`` (a whole
     number) times its size.
     """
     placed, blocks = plan(docs, block_words=block_words, **how)
     # A document takes what lies between its two ends, each looked up in the block that holds it.
-    first, last = (blocks.select("source_no", "shard", *[F.col(c).alias(f"_{n}_{c}") for c in ("block", "times", "_before")]) for n in ("a", "b"))
+    first, last = (blocks.select("source_no", *[F.col(c).alias(f"_{n}_{c}") for c in ("block", "times", "_before")]) for n in ("a", "b"))
     full = placed.where("size > 0").withColumn("_a_block", F.floor(F.col("_from") / block_words)).withColumn("_b_block", F.floor((F.col("_to") - 1) / block_words))
     upto = lambda n, at: F.col(f"_{n}__before") * block_words + F.col(f"_{n}_times") * (F.col(at) - F.col(f"_{n}_block") * block_words)
-    taken = full.join(first, ["source_no", "shard", "_a_block"], "left").join(last, ["source_no", "shard", "_b_block"], "left").withColumn("taken", F.coalesce(upto("b", "_to") - upto("a", "_from"), F.lit(0)))
+    taken = full.join(first, ["source_no", "_a_block"], "left").join(last, ["source_no", "_b_block"], "left").withColumn("taken", F.coalesce(upto("b", "_to") - upto("a", "_from"), F.lit(0)))
     out = ["doc_id", "source", "size", "source_size", "target", "taken", "shard", F.col("_from").alias("first_word")]
     return taken.select(*out).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
@@ -143,19 +168,19 @@ def take(docs: DataFrame, block_words: int = BLOCK_WORDS, **how) -> DataFrame:
     Rows that agree in doc_id, source and text are one document here; a document without words is not
     in the mix.
     """
-    placed, blocks = plan(docs, block_words=block_words, **how)
+    placed, blocks = plan(docs, block_words=block_words, distinct=True, **how)
     at = F.explode(F.sequence(F.floor(F.col("_from") / block_words), F.floor((F.col("_to") - 1) / block_words))).alias("block")
-    parts = placed.where("size > 0").select("doc_id", "_same", "source_no", "shard", "source", "_from", "_to", at).join(blocks, ["source_no", "shard", "block"]).where("times > 0")
+    parts = placed.where("size > 0").select("doc_id", "_same", "source_no", "source", "_from", "_to", at).join(blocks, ["source_no", "block"]).where("times > 0")
     first = F.greatest(F.col("block") * block_words, F.col("_from")) - F.col("_from")
     end = F.least((F.col("block") + 1) * block_words, F.col("_to")) - F.col("_from")
     parts = parts.select("doc_id", "_same", "source", "times", first.cast("int").alias("s"), end.cast("int").alias("e"))
-    parts = parts.select("doc_id", "_same", "source", "s", "e", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_round")).withColumn("_part", F.struct("s", "e"))
-    rounds = parts.groupBy("doc_id", "_same", "source", "_round").agg(F.array_sort(F.collect_set("_part")).alias("_parts"))
-    rounds = rounds.select(*[F.col(c).alias(f"_r_{c}") for c in ("doc_id", "_same", "source")], "_parts")
-    on = docs["doc_id"].eqNullSafe(F.col("_r_doc_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_r__same")) & docs["source"].eqNullSafe(F.col("_r_source"))
-    got = docs.join(rounds, on).withColumn("_words", F.expr("regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
+    parts = parts.select("doc_id", "_same", "source", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_round"), F.struct("s", "e").alias("_part"))
+    rounds = parts.groupBy("doc_id", "_same", "source", "_round").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    # All columns of a document travel as one, so none of them can clash with those made here.
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.xxhash64("text").alias("_hash")).dropDuplicates(["_id", "_from", "_hash"])
+    got = whole.join(rounds, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_hash").eqNullSafe(F.col("_same")) & F.col("_from").eqNullSafe(F.col("source")))
+    got = got.withColumn("_words", F.expr("regexp_extract_all(_doc.text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
     # The words are named twice, else Spark would find them anew for each part.
-    got = got.withColumn("text", F.expr("if(size(_words) = 0, '', array_join(flatten(transform(_parts, p -> slice(_words, p.s + 1, p.e - p.s))), ''))"))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    got = got.withColumn("_text", F.expr("if(size(_words) = 0, '', array_join(flatten(transform(_parts, p -> slice(_words, p.s + 1, p.e - p.s))), ''))"))
+    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return got.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

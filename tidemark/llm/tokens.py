@@ -3,6 +3,12 @@
 A byte-level BPE never merges over the place between a visible character and a space after it, so a
 text can be cut there and the parts encoded alone. Parts recur, so each worker keeps the ids of those
 it has met; a new part goes to the library. The store is emptied when it is full, which changes no id.
+
+A text that holds one of the vocabulary's added tokens (``<|endoftext|>``) goes to the library whole, as
+the library looks for those before anything else. So ids are those of ``Tokenizer.encode(text,
+add_special_tokens=False)`` for every text.
+
+Defined results: an empty text has no ids; a caller gives an empty text for a null one.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
         self._known: dict[object, bytes] = {}
         self._marks: dict[str, bytes] = {}
         # A run of letters after a space is one unit of a byte-level BPE, so it can go to the model itself.
@@ -68,6 +74,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        whole = {i for i, text in enumerate(texts) if any(a in text for a in self._added)}
+        if whole:
+            found = self._tokenizer.encode_batch_fast([texts[i] for i in sorted(whole)], add_special_tokens=False)
+            own = {i: array("I", e.ids).tobytes() for i, e in zip(sorted(whole), found)}
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [own[i] if i in whole else next(rest) for i in range(len(texts))]
         cut = []
         for text in texts:
             if _run(text):  # two spaces in a row belong together
@@ -101,6 +113,13 @@ _run = re.compile(r"\s ").search
 _edge = re.compile(r"(?<=\S)(?= )")
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids of the vocabulary, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and tokenizer file."""
     if path not in _encoders:
