@@ -17,7 +17,6 @@ def library(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -47,6 +46,18 @@ def test_flac_of_16_bits_is_smaller_than_pcm_and_seekable():
         assert (block[0] == x[first : first + flac.BLOCK]).all()
 
 
+def test_flac_reads_from_any_sample():
+    x = np.cumsum(np.random.default_rng(2).integers(-1, 2, 20_000)).clip(-128, 127)
+    data = flac.encode(x)
+    assert [p[0] for p in flac.read_metadata(data)[0]["seek"]] == list(range(0, 20_000, flac.BLOCK))
+    for since, count in ((0, 10), (4095, 2), (8192, 4096), (12_345, 7000), (19_999, 5), (5, 0)):
+        assert (flac.pcm(data, since, count)[0] == x[since : since + count]).all()
+    broken = bytearray(data)
+    broken[len(flac.MAGIC) + 4 + 34 + 4 + 18 + 7] ^= 1  # the second point's sample
+    with pytest.raises(flac.FlacError):
+        flac.pcm(bytes(broken), 5000, 10)
+
+
 def bits(*parts):
     return flac.put_bits(list(parts))
 
@@ -99,6 +110,10 @@ def test_flac_of_texts(odd):
         data = (texts[r.doc_id] or "").encode()
         payload = data + bytes(-len(data) % 64 if data else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.pcm_blocks == -(-len(payload) // flac.BLOCK) and r.offsets_crc32 == zlib.crc32(np.arange(0, len(payload), flac.BLOCK).astype("<u8").tobytes())
+        x = [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"n={len(x)};mean={sum(x) / len(x):.4f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.4f};crossings={crossings}"
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (6, 7)}) == 1
     pcm = flac.pcm_blocks(flac.store(odd).where("doc_id = 6")).orderBy("first_sample").collect()
     assert b"".join(bytes(r.pcm) for r in pcm).rstrip(b"\0").decode() == texts[6] and pcm[1].first_sample == flac.BLOCK
@@ -109,7 +124,7 @@ def test_flac_of_texts(odd):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.sampled_from(list("aéΩ字 \n\t.,'s1!?%\x1c\x85 　́ª<|>")), max_size=14), max_size=20))
+@given(st.lists(st.lists(st.sampled_from([*"aéΩ字 \n\t.,'s1!?%\x1c\x85 　́ª<|>", "<|endoftext|>", "<|endoftext"]), max_size=14).map("".join), max_size=20))
 def test_tokens_are_the_librarys(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(PATH).encode(texts)] == library(texts)
 

@@ -309,7 +309,7 @@ def brute_fingerprint(text):
     for run in runs:
         h = 42
         for w in run:
-            h = xxhash.xxh64_intdigest(w.encode(), h)
+            h = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(w.encode(), 42).to_bytes(8, "little"), h)
         signed = h - (1 << 64) if h >> 63 else h
         b = (signed >> 57) + 64
         bins[b] = min(bins.get(b, signed), signed)
@@ -329,7 +329,7 @@ def brute_likeness(a, b):
 
 
 def test_fingerprints_against_brute_force(docs_of, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET", 3)
+    monkeypatch.setattr(fingerprints, "RANGES_A_PARTITION", 3)
     rng = np.random.default_rng(4)
     rows = [(int(i) * 7 - 50, " ".join(f"w{x}" for x in rng.integers(0, 500, rng.integers(0, 300)))) for i in range(40)] + [(1000, None), (1001, "é 字"), (5000, " ")]
     got = {r.doc_id: r for r in fingerprints.fingerprint_pairs(docs_of(rows)).collect()}
@@ -344,6 +344,22 @@ def test_fingerprints_against_brute_force(docs_of, monkeypatch):
         assert (r.near_edited, r.near_next) == (pytest.approx(brute_likeness(r.fingerprint, r.edited_fingerprint)), pytest.approx(brute_likeness(r.fingerprint, brute_fingerprint(after))))
 
 
+@pytest.mark.parametrize("ids", [[-(2**62) - 5, 3, 2**62 + 9], [*range(60), 10**15], [None] * 40 + [7] * 30, [5, 5, 5]])
+def test_next_documents_whatever_the_ids(docs_of, monkeypatch, ids):
+    """Wide, clustered, null and repeated ids: each document's next one is that of a plain sort."""
+    monkeypatch.setattr(fingerprints, "RANGES_A_PARTITION", 4)
+    rng = np.random.default_rng(14)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 99, 12))) for k in ids]
+    got = fingerprints.fingerprint_pairs(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
+    want = []
+    for (k, text), (_, after) in zip(order, order[1:] + order[:1]):
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        want.append((k, hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256)) for r in got)
+
+
 def test_fingerprints_of_odd_rows(odd, docs_of):
     assert fingerprints.fingerprint_pairs(odd).count() == 11
     assert fingerprints.fingerprint_pairs(docs_of([])).count() == 0
@@ -463,19 +479,95 @@ def test_risk_is_not_negative():
     assert right.mean() > 0.97
 
 
+def test_prior_is_that_of_a_mixture():
+    rng = np.random.default_rng(17)
+    bins = lambda z: np.bincount(quality.bins_of(z), minlength=quality.BINS)
+    for share in (0.3, 0.6, 0.9):
+        n = int(20_000 * share)
+        documents = np.concatenate([rng.normal(3, 1, n), rng.normal(-3, 1, 20_000 - n)])
+        assert abs(quality.prior_of(bins(rng.normal(3, 1, 2000)), bins(documents)) - share) < 0.06
+    assert quality.prior_of(np.zeros(quality.BINS, int), bins(documents)) == 0.5
+
+
+def test_quality_against_plain_steps(spark, docs_of):
+    """The fit, one row and one feature at a time, and the scores of the registered way."""
+    rng = np.random.default_rng(18)
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    w, m, v = [0.0] * 4, [0.0] * 4, [0.0] * 4
+    for t in range(1, 26):
+        sig = lambda x: 1 / (1 + np.exp(-(sum(a * b for a, b in zip(w, [*x, 1.0])))))  # noqa: B023, E731
+        risk_u, risk_p = (float(np.mean([-np.log(1 - sig(x)) for x in some])) for some in (u, p))
+        grad = []
+        for j in range(4):
+            at = lambda x: [*x, 1.0][j]  # noqa: B023, E731
+            plus = 0.6 * np.mean([(sig(x) - 1) * at(x) for x in p])
+            minus = np.mean([sig(x) * at(x) for x in u]) - 0.6 * np.mean([sig(x) * at(x) for x in p])
+            grad.append((plus + minus if risk_u - 0.6 * risk_p >= 0 else -minus) + (1e-4 * w[j] if j < 3 else 0))
+        for j in range(4):
+            m[j], v[j] = 0.9 * m[j] + 0.1 * grad[j], 0.999 * v[j] + 0.001 * grad[j] ** 2
+            w[j] -= 0.05 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(quality.fit(p, u, 0.6, steps=25), w)
+    model = rng.normal(0, 1, surface.SIZE + 1)
+    rows = [(i, f"text {i} " * (i + 1)) for i in range(9)] + [(10, None)]
+    got = {r.doc_id: r.score for r in quality.score(docs_of(rows).select("doc_id", "text"), model).collect()}
+    for k, text in rows:
+        z = sum(float(a) * float(b) for a, b in zip(surface.surface(text), model)) + model[-1]
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_toxicity_chain(spark, docs_of):
     docs, labels = graded()
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = toxicity.classify(docs_of([*docs, (5000, None), (5001, "")]), labels).collect()
+    got = toxicity.classify(docs_of([*docs, (5000, None), (5001, ""), (None, "no id")]), labels).collect()
     by = {r.doc_id: r for r in got}
     out = [i for i, _ in docs if by[i].held_out]
     assert np.mean([by[i].predicted == int(i % 4 == 1) for i in out]) > 0.97
     assert np.mean([(by[i].p_low_quality >= 0.5) == (i % 5 == 0) for i in out]) > 0.97
-    assert np.mean([(by[i].p_toxic_low_quality >= 0.5) == (i % 20 == 5) for i in out]) > 0.97
-    assert len(got) == 1202 and toxicity.classify(docs_of([]), labels).count() == 0
+    assert len(got) == 1203 and toxicity.classify(docs_of([]), labels).count() == 0
     assert toxicity.classify(docs_of(docs[:5]), labels.limit(0)).count() == 5
 
 
+def test_the_highest_of_each_mark_holds(spark, docs_of):
+    seen = []
+    docs, labels = graded(300)
+    apart = [(k, q, None) for k, q, _ in labels] + [(k, None, t) for k, _, t in labels] + [(k, 1, 0) for k, _, _ in labels]
+    schema = "doc_id long, quality int, toxic int"
+    for some in (labels, apart):
+        got = toxicity.classify(docs_of(docs), spark.createDataFrame(some, schema)).orderBy("doc_id").collect()
+        seen.append([(r.doc_id, round(r.p_low_quality, 6), round(r.p_toxic, 6), r.predicted) for r in got])
+    assert seen[0] == seen[1]
+
+
+def test_chain_against_plain_steps():
+    """A chain of two made by hand: models of one category, their outputs out of fold as a feature of the next."""
+    rng = np.random.default_rng(15)
+    n = 90
+    surfaces, rows = rng.normal(0, 1, (n, surface.SIZE)).astype(np.float32), [rng.integers(0, 40, 6) for _ in range(n)]
+    first = (surfaces[:, 0] > 0).astype(int)
+    marks, folds = np.stack([first, first ^ (rng.random(n) < 0.1)], 1), np.arange(n) % 3
+    models = toxicity.fit_chain(surfaces, rows, marks, folds)
+    out = np.zeros((n, 1))
+    for i in range(n):
+        rest = [j for j in range(n) if folds[j] != folds[i]]
+        model = toxicity.fit_one(surfaces[rest], [rows[j] for j in rest], np.zeros((len(rest), 0)), marks[rest, 0].astype(float))
+        out[i] = toxicity.apply_one(model, surfaces[i : i + 1], [rows[i]], np.zeros((1, 0)))
+    later = toxicity.fit_one(surfaces, rows, out, marks[:, 1].astype(float))
+    assert np.allclose(later[1], models[1][1]) and (later[0] == models[1][0]).all()
+    # Newton's method ends where the gradient of the penalised loss is nothing.
+    x = np.hstack([surfaces, toxicity.has_words(rows, later[0]), out, np.ones((n, 1))]).astype(float)
+    s = 1 / (1 + np.exp(-x @ later[1]))
+    assert np.abs(x.T @ (s - marks[:, 1]) + np.append(np.ones(x.shape[1] - 1), 1e-6) * later[1]).max() < 1e-2
+
+
+def test_cuts():
+    y, z = np.array([1, 1, 0, 1, 0, 0]), np.array([3.0, 2.0, 1.0, 1.0, 0.0, -1.0])
+    assert toxicity.best_cut(y, z) == 1.5 and toxicity.best_cut(1 - y, z) == 0.0 and toxicity.best_cut(np.zeros(3), z[:3]) == 0.0
+
+
+def test_folds_of_ids_that_share_a_remainder():
+    assert set(toxicity.fold_of(range(0, 300, 3))) == {0, 1, 2}
+
+
 def test_later_models_meet_out_of_fold_outputs():
     """Earlier marks that are noise must not look known to a later model."""
     rng = np.random.default_rng(12)
@@ -516,5 +608,18 @@ def test_chats_against_brute_force(spark):
 def test_chats_of_odd_rows(spark):
     rows = [(1, 0, "user", None), (2, 0, "user", ""), (3, None, None, "x"), (3, 0, "user", "y"), (None, 0, "user", "z"), (4, 0, "user", "q"), (4, 0, "user", "q"), (5, 0, "user", "q")]
     got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {1, 2, 3, 4, None} and got[3].text.startswith("<|im_start|>\nx") and got[4].n_turns == 2
+    assert set(got) == {1, 2, 3, 4, None} and got[None].copies == 1 and got[3].text.startswith("<|im_start|>\nx") and got[4].n_turns == 2
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_snapshots_that_end_inside_a_tie_and_turns_without_conversation(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = []
+    for c in range(0, 40, 2):
+        first, second = (c, 1, "assistant", f"a{c}"), (c, 1, "user", f"u{c}")
+        rows += [first, second, (c + 1, 1, "assistant", f"a{c}")]
+    rows += [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 5, "user", "y"), (100, 0, "user", "y"), (100, 1, "user", "z")]
+    got = chat.format_chats(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r.conv_id for r in got if r.conv_id is not None) == [*range(0, 40, 2), 100]
+    assert sorted((r.copies, r.n_turns, r.text) for r in got if r.conv_id is None) == [(2, 1, "<|im_start|>user\nx<|im_end|>\n")]
+    assert all(r.text == f"<|im_start|>assistant\na{r.conv_id}<|im_end|>\n<|im_start|>user\nu{r.conv_id}<|im_end|>\n" for r in got if r.conv_id is not None and r.conv_id < 100)

@@ -3,7 +3,8 @@
 The decoder reads frames of one or more channels (independent, left/side, right/side, mid/side) with
 constant, verbatim, fixed and linear-predictor subframes and Rice-coded residuals of both methods,
 checks the header's CRC-8 and the frame's CRC-16, and gives PCM blocks, each with the number of its
-first sample, so that a reader can begin at any of them.
+first sample. The encoder writes a SEEKTABLE with the place of every frame, so ``pcm`` reads the samples from any
+offset on without the frames before it; streams without one are walked frame by frame.
 
 Residuals are decoded without a loop over samples: every one-bit of a partition knows which one-bit ends
 the next code if a code ends with it, and doubling such jumps lists the ends of all codes.
@@ -38,6 +39,7 @@ MAGIC = b"fLaC"
 APPLICATION = b"tmLV"
 SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+SEEK = 3
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 _crc: dict[tuple[int, int], np.ndarray] = {}
@@ -187,17 +189,19 @@ def encode(samples: np.ndarray, depth: int = 8, levels: bytes | None = None, blo
     n = len(samples)
     digest = hashlib.md5(samples.astype("i1" if depth == 8 else "<i2").tobytes()).digest()
     info = np.packbits(put_bits([(block, 16), (block, 16), (0, 24), (0, 24), (RATE, 20), (0, 3), (depth - 1, 5), (n, 36)])).tobytes() + digest
-    out = [MAGIC, bytes([0 if levels else 0x80]), len(info).to_bytes(3, "big"), info]
-    if levels:
-        out += [bytes([0x82]), (4 + len(levels)).to_bytes(3, "big"), APPLICATION, levels]
+    frames, seek, place = [], [], 0
     for number, start in enumerate(range(0, n, block)):
         x = samples[start : start + block].astype(np.int64)
         code = {8: 1, 16: 4}[depth]
         head = bytes([0xFF, 0xF8, 0x70, code << 1]) + utf8_number(number) + (len(x) - 1).to_bytes(2, "big")
         head += bytes([crc(head, 8, 0x07)])
         frame = head + np.packbits(subframe(x, depth)).tobytes()
-        out += [frame, crc(frame, 16, 0x8005).to_bytes(2, "big")]
-    return b"".join(out)
+        seek.append(start.to_bytes(8, "big") + place.to_bytes(8, "big") + len(x).to_bytes(2, "big"))
+        place += len(frame) + 2
+        frames += [frame, crc(frame, 16, 0x8005).to_bytes(2, "big")]
+    head = [(0, info), (SEEK, b"".join(seek)), *([(2, APPLICATION + levels)] if levels else [])]
+    out = [bytes([kind | 0x80 * (i == len(head) - 1)]) + len(body).to_bytes(3, "big") + body for i, (kind, body) in enumerate(head)]
+    return b"".join([MAGIC, *out, *frames])
 
 
 # decoding
@@ -289,16 +293,19 @@ def read_subframe(r: Reader, n: int, depth: int) -> np.ndarray:
 
 
 def read_metadata(data: bytes) -> tuple[dict, int]:
-    """What STREAMINFO and our APPLICATION block say, and where the frames begin."""
+    """What STREAMINFO, the SEEKTABLE and our APPLICATION block say, and where the frames begin."""
     if data[:4] != MAGIC:
         raise FlacError("no FLAC stream")
-    at, info, last = 4, {"levels": None}, False
+    at, info, last = 4, {"levels": None, "seek": []}, False
     while not last:
         last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         body, at = data[at + 4 : at + 4 + size], at + 4 + size
         if kind == 0:
             packed = int.from_bytes(body[10:18], "big")
             info |= {"block": int.from_bytes(body[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "depth": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
+        elif kind == SEEK:
+            points = np.frombuffer(body, [("first", ">u8"), ("place", ">u8"), ("n", ">u2")])
+            info["seek"] = [(int(p["first"]), int(p["place"])) for p in points if p["first"] != 2**64 - 1]  # others are placeholders
         elif kind == 2 and body[:4] == APPLICATION:
             info["levels"] = body[4:]
     return info, at
@@ -341,14 +348,34 @@ def read_frame(data: bytes, at: int, info: dict) -> tuple[np.ndarray, int, int]:
     return np.stack(x), number if varying else number * info["block"], end + 2
 
 
-def decode_blocks(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the first sample, samples as channels x n) of every frame, after its checks."""
+def decode_blocks(data: bytes, since: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first sample, samples as channels x n) of every frame, after its checks, from the one that
+    holds sample ``since`` on, as far as the SEEKTABLE tells."""
     info, at = read_metadata(data)
+    places = [p for p in info["seek"] if p[0] <= since]
+    if places:
+        wanted, place = places[-1]
+        at += place
     while at < len(data):
         x, first, at = read_frame(data, at, info)
+        if places and wanted not in (None, first):
+            raise FlacError("the seek table names another sample")
+        wanted = None
         yield first, x
 
 
+def pcm(data: bytes, since: int, count: int) -> np.ndarray:
+    """``count`` samples (channels x n) from sample ``since`` on; the frames before it are not read."""
+    parts, upto = [np.zeros((read_metadata(data)[0]["channels"], 0), np.int64)], since + count
+    for first, x in decode_blocks(data, since) if count > 0 else ():
+        if first >= upto:
+            break
+        parts.append(x[:, max(0, since - first) : upto - first])
+        if first + x.shape[1] >= upto:
+            break
+    return np.concatenate(parts, axis=1)
+
+
 def decode(data: bytes) -> np.ndarray:
     """All samples of a stream, checked against its MD5."""
     info, _ = read_metadata(data)
@@ -400,36 +427,48 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored_blocks(data: bytes) -> list[tuple[int, bytes]]:
+    """(first sample, payload bytes) of each block, all checked: frames by their sums, the whole by its MD5."""
+    info, _ = read_metadata(data)
+    blocks = [(first, x[0]) for first, x in decode_blocks(data)]
+    whole = np.concatenate([x for _, x in blocks]) if blocks else np.zeros(0, np.int64)
+    if len(whole) != info["samples"] or hashlib.md5(whole.astype("i1").tobytes()).digest() != info["md5"]:
+        raise FlacError("the samples differ from what the stream says")
+    return [(first, payload_block(x, info["levels"])) for first, x in blocks]
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, first_sample, pcm: the payload's bytes by frame, each row a place to begin reading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                levels = read_metadata(data)[0]["levels"]
-                blocks = [(first, payload_block(x[0], levels)) for first, x in decode_blocks(data)]
+                blocks = stored_blocks(data)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(blocks), pa.int64()), pa.array([f for f, _ in blocks], pa.int64()), pa.array([p for _, p in blocks], pa.binary())], ["doc_id", "first_sample", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, first_sample long, pcm binary")
 
 
-def feature(x: np.ndarray) -> str:
-    """Samples, mean level, root mean square and zero crossings of a stream, as text."""
-    return f"n={len(x)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={int((np.diff(np.sign(x)) != 0).sum())}"
+def feature(payload: bytes) -> str:
+    """Samples, mean level, root mean square and crossings of the middle level of a payload's 8-bit samples, as text."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    return f"n={len(x)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={int((np.diff(x >= 0)).sum())}"
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Read the stored bytes back: digests of the payload and of the media, and a feature."""
+    """Read the stored bytes back block by block: digests of the payload and of the media, a feature, the number of
+    PCM blocks and the CRC of their sample offsets (little-endian, 64 bits each)."""
+    more = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "pcm_blocks": pa.int64(), "offsets_crc32": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for data in batch.column(2).to_pylist():
-                x = decode(data)[0]
-                payload = payload_block(x, read_metadata(data)[0]["levels"])
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(x)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                blocks = stored_blocks(data)
+                payload, offsets = b"".join(p for _, p in blocks), np.array([f for f, _ in blocks], "<u8")
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload), len(blocks), zlib.crc32(offsets.tobytes())))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(more), more.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", *more])
+
+    kinds = {pa.int64(): "long", pa.string(): "string"}
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, " + ", ".join(f"{n} {kinds[k]}" for n, k in more.items()))
