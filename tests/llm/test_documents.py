@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, components, fingerprints, mixing, quality, simhash, substrings, surface, toxicity
+from tidemark.llm import chat, components, fingerprints, mixing, nearcopies, quality, simhash, substrings, surface, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -116,18 +116,18 @@ def near_copies(seed=0, n=40, words=200):
 def test_near_copies_go_and_others_stay(docs_of):
     rows = near_copies()
     rows += [(2000, rows[1][1]), (2001, rows[1][1]), (None, rows[1][1]), (None, "alone"), (None, "alone"), (3000, None), (3001, "")]
-    kept = simhash.deduplicate(docs_of(rows))
+    kept = nearcopies.deduplicate(docs_of(rows))
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert kept.columns == docs_of(rows).columns
     assert sorted(r[0] for r in got if r[0] is not None) == [*range(40), 3000] and [r for r in got if r[0] is None] == [(None, "alone")]
-    assert simhash.deduplicate(docs_of([])).count() == 0
+    assert nearcopies.deduplicate(docs_of([])).count() == 0
 
 
 def test_a_large_group_of_near_copies(docs_of, monkeypatch):
-    monkeypatch.setattr(simhash, "RUN", 8)
+    monkeypatch.setattr(nearcopies, "RUN", 8)
     base = [f"word{i}" for i in range(150)]
     rows = [(i, " ".join(w if j != i else f"x{i}" for j, w in enumerate(base))) for i in range(60)]
-    assert [r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()] == [0]
+    assert [r.doc_id for r in nearcopies.deduplicate(docs_of(rows)).collect()] == [0]
 
 
 def brute_kept(rows):
@@ -164,7 +164,7 @@ def test_near_copies_among_template_documents(docs_of, seed):
     rows = templates(seed)
     want = brute_kept(rows)
     assert len(want) > 100 and max(want) < 1000
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == want
+    assert sorted(r.doc_id for r in nearcopies.deduplicate(docs_of(rows)).collect()) == want
 
 
 def block_edits(seed=0, n=20, words=300):
@@ -184,14 +184,31 @@ def test_copies_with_blocks_added_removed_and_replaced(docs_of):
     rows = block_edits()
     want = brute_kept(rows)
     assert want == list(range(20))
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == want
+    assert sorted(r.doc_id for r in nearcopies.deduplicate(docs_of(rows)).collect()) == want
+
+
+@pytest.mark.parametrize("run", [3, 40])
+def test_long_runs_are_cut_into_cells(docs_of, monkeypatch, run):
+    """Shingles with more texts than a run holds, ordered first: all pairs of different roots still meet."""
+    monkeypatch.setattr(nearcopies, "RUN", run)
+    monkeypatch.setattr(nearcopies, "prefix", lambda x, *_: x.view(np.int64))
+    rows = templates(3, 40, 6) + [(k + 3000, t) for k, t in block_edits(2, 3)]
+    assert sorted(r.doc_id for r in nearcopies.deduplicate(docs_of(rows)).collect()) == brute_kept(rows)
+
+
+def test_copies_of_other_columns_and_repeated_ids(docs_of):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (1, "a b c d e f g"), (3, None), (4, " \t")]
+    docs = docs_of(rows).withColumns({c: F.lit(c) for c in ("_k", "_l", "node", "_check", "_doc", "a", "b", "least")})
+    got = nearcopies.deduplicate(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.where("doc_id < 3").collect()) == [(1, "a b c d e f g"), (1, "h i j k l m n")]
+    assert [r.doc_id for r in got.where("doc_id > 2").collect()] == [3] and got.first()["_k"] == "_k"
 
 
 @pytest.mark.parametrize("common", [1, 4, 10**9])
 def test_prefixes_meet_at_the_likeness_whatever_the_order(docs_of, monkeypatch, common):
-    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(nearcopies, "COMMON", common)
     rows = block_edits(1, 6) + [(k + 5000, t) for k, t in templates(2, 30, 5)]
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs_of(rows)).collect()) == brute_kept(rows)
+    assert sorted(r.doc_id for r in nearcopies.deduplicate(docs_of(rows)).collect()) == brute_kept(rows)
 
 
 # passages

@@ -16,6 +16,8 @@ Defined results: a null, empty or blank text has fingerprint 0 and is linked lik
 fewer words than a shingle is one shingle; null doc_ids belong to the component of their fingerprint and
 never name one with others in it; repeated rows are one component; an empty table gives no rows.
 Columns other than doc_id and text are ignored.
+
+``nearcopies`` builds on this the pipeline's removal of near copies by likeness.
 """
 
 from __future__ import annotations
@@ -50,7 +52,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     else:
         starts = [0, *ends]
         hashes = [of(line[s : e - 1], 42) for s, e in zip(starts, ends[words - 1 :])]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit as over half of the hashes have it, as a signed 64-bit integer; 0 without hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes)).view(">i8")[0])
 
 
@@ -153,211 +162,3 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(grouped.join(names, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-# Near-copies by verified likeness of five-word shingles
-
-LIKENESS = 0.8
-SAMPLE = 20_000
-COMMON = 4
-LISTED = 1 << 18
-BLOCK = 1 << 20
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """The different hashes of a text's five-word shingles; a text of fewer words is one shingle."""
-    from .substrings import WORDS, shingles
-
-    found = shingles(text)
-    if not len(found):
-        words = (text or "").encode().split()
-        found = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if 0 < len(words) < WORDS else [], np.uint64)
-    return np.unique(found)
-
-
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Hashes (sorted) of shingles that a sample of the documents has ``COMMON`` times or more, with the
-    place of each by how common it is. The sample sets the order of shingles only: any order gives the same pairs."""
-    every = max(1, texts.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.concatenate([shingle_set(text) for text in batch.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["x"])
-
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "x long")
-    often = some.groupBy("x").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "x").limit(LISTED)
-    return np.array([r.x for r in reversed(often.collect())], np.int64).view(np.uint64)
-
-
-def prefix(text: str | None, sorted_common: np.ndarray, places: np.ndarray, likeness: float = LIKENESS) -> tuple[int, np.ndarray]:
-    """How many shingles a text has, and those of them that come first in an order that all texts share, rare
-    ones before common ones: so many that two texts of this likeness have one of them in common. Blank texts
-    count as one shingle, the same for all."""
-    x = shingle_set(text)
-    if not len(x):
-        x = np.zeros(1, np.uint64)
-    rank = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-    if len(sorted_common):
-        at = np.minimum(np.searchsorted(sorted_common, x), len(sorted_common) - 1)
-        rank = np.where(sorted_common[at] == x, np.uint64(1 << 63) + places[at].astype(np.uint64), rank)
-    length = len(x) - int(np.ceil(likeness * len(x) - 1e-9)) + 1
-    # Two shingles of equal rank keep the order of their hashes.
-    return len(x), x[np.argsort(rank, kind="stable")[:length]].view(np.int64)
-
-
-def prefixes(texts: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """doc_id, n, xs: number of shingles and prefix of every document."""
-    common = common_shingles(texts)
-    order = np.argsort(common)
-    shared = texts.sparkSession.sparkContext.broadcast((common[order], order))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [prefix(t, *shared.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["doc_id", "n", "xs"])
-
-    found = texts.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n int, xs array<bigint>")
-    if among is not None:
-        found = found.join(among.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return written(found, "prefixes")
-
-
-def met(found: DataFrame, every: bool) -> DataFrame:
-    """a, b (a < b): documents that meet under a shingle of their prefixes and whose sizes allow the likeness.
-
-    ``every`` False: each with the one before it and with the first, in order of size; linear. ``every`` True:
-    all of different ``root``; ``found`` has that column then.
-    """
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["key", "n", "doc_id", "at", "root"]
-    rows = found.withColumn("root", F.col("doc_id")) if not every else found
-    rows = rows.select("doc_id", "n", "root", F.posexplode("xs").alias("at", "key")).select(*names)
-
-    def told(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        """Of rows x and y that share a shingle those that can be near: what is left after it has to be enough."""
-        nx, ny = x[:, 1], y[:, 1]
-        both = np.minimum(nx - x[:, 3], ny - y[:, 3])
-        ok = (np.minimum(nx, ny) >= LIKENESS * np.maximum(nx, ny) - 1e-9) & (both >= LIKENESS / (1 + LIKENESS) * (nx + ny) - 1e-6) & (x[:, 2] != y[:, 2])
-        a, b = x[ok, 2], y[ok, 2]
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    def linear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = before = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            old = 0
-            if before is not None:
-                rows, old = np.concatenate([first[None], before[None], rows]), 2
-            heads = np.maximum.accumulate(np.where(np.append(True, rows[1:, 0] != rows[:-1, 0]), np.arange(len(rows)), 0))
-            here = np.arange(old, len(rows))
-            here = here[heads[here] < here]
-            x, y = np.concatenate([heads[here], here - 1]), np.concatenate([here, here])
-            yield told(rows[x], rows[y])
-            first, before = rows[heads[-1]], rows[-1]
-
-    def crossed(run: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """All pairs of a run of one shingle (in order of size) that are of different roots."""
-        roots, run[:, 4] = np.unique(run[:, 4], return_inverse=True)
-        if len(roots) == 1:
-            return
-        # A row meets those before it from this size on.
-        low = np.searchsorted(run[:, 1], np.ceil(LIKENESS * run[:, 1] - 1e-9))
-        counts = np.arange(len(run)) - low
-        at = 0
-        while at < len(run):
-            end = max(at + 1, int(np.searchsorted(np.cumsum(counts[at:]), BLOCK, side="right")) + at)
-            y = np.repeat(np.arange(at, end), counts[at:end])
-            x = np.arange(len(y)) - np.repeat(np.cumsum(counts[at:end]) - counts[at:end], counts[at:end]) + low[y]
-            use = run[x, 4] != run[y, 4]
-            if use.any():
-                yield told(run[x[use]], run[y[use]])
-            at = end
-
-    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            heads = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-            if held and held[0][0, 0] != rows[0, 0]:
-                yield from crossed(np.concatenate(held))
-                held = []
-            ends = np.append(heads[1:], len(rows))
-            for s, e in zip(heads[:-1].tolist(), ends[:-1].tolist()):
-                if held:
-                    yield from crossed(np.concatenate([*held, rows[s:e]]))
-                    held = []
-                elif e - s > 3:  # of three, each has met each already
-                    yield from crossed(rows[s:e])
-            held.append(rows[heads[-1] :])
-        if held:
-            yield from crossed(np.concatenate(held))
-
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
-    return dealt.mapInArrow(crossing if every else linear, "a long, b long").distinct()
-
-
-def copy_links(texts: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """a, b: links enough to connect all documents whose five-word shingles are alike by ``LIKENESS`` or more.
-    ``among``: the doc_ids that take part, if not all do.
-
-    Exact: of two sets of that likeness the prefixes share a shingle, whatever the edits are. A linear pass links
-    what lies side by side; what it has connected is one root. Then all documents of different roots
-    that share a shingle of their prefixes meet. Documents of one root need no comparison.
-    """
-    found = prefixes(texts, among)
-    near = written(verified(written(met(found, False), "pairs"), texts), "near-first")
-    roots = components(near).withColumnsRenamed({"node": "doc_id", "root": "_root"})
-    rooted = found.join(roots.hint("merge"), "doc_id", "left").select("doc_id", "n", "xs", F.coalesce("_root", "doc_id").alias("root"))
-    more = verified(written(met(rooted, True), "pairs"), texts)
-    return near.unionByName(more)
-
-
-def verified(candidates: DataFrame, texts: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """Of the pairs a, b those whose five-word shingles are alike by ``likeness`` or more."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.unique((shingle_set(text) >> np.uint64(32)).astype("<u4")).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "x"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= likeness * max(len(x), len(y)) else 0
-                keep.append(both >= likeness * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = texts.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    known = written(texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, x binary"), "shingle-sets")
-    both = candidates.join(known.withColumnsRenamed({"doc_id": "a", "x": "_x"}), "a").join(known.withColumnsRenamed({"doc_id": "b", "x": "_y"}), "b")
-    return both.select("a", "b", "_x", "_y").mapInArrow(near, "a long, b long")
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of exact and near copies: the one with the smallest doc_id.
-
-    Equal texts are one group at once; the others are connected by ``copy_links``. Rows with a null doc_id are grouped by equal text alone, and lose to any with a doc_id.
-
-    Tables of ids grow with the documents, so they are joined by sorting at every size; whole texts are
-    shuffled twice, to verify them and to keep those that stay.
-    """
-    same = [F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))) for seed in (1, 2)]
-    marked = docs.withColumns({"_k": same[0], "_l": same[1]})
-    first = written(marked.groupBy("_k", "_l").agg(F.min("doc_id").alias("_first")), "first-copies")
-    # A copy's doc_id is not the smallest of its text; ids alone are shuffled, never texts.
-    ids = written(marked.select("doc_id", "_k", "_l").join(first.hint("merge"), ["_k", "_l"]).where("doc_id = _first").select("doc_id").distinct(), "distinct-texts")
-    roots = components(copy_links(docs, ids))
-    gone = roots.select(F.col("node").alias("doc_id"))
-    stay = written(ids.join(gone, "doc_id", "left_anti"), "staying")
-    # Of rows that share a doc_id one stays too.
-    out = docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = marked.where("doc_id is null").join(first.where("_first is null"), ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"])
-    return out.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
