@@ -298,13 +298,80 @@ def test_exact_passages_among_template_variants(docs_of):
 
 
 @pytest.mark.parametrize("run", [8, 10**6])
-def test_ties_in_parts(docs_of, monkeypatch, run):
+@pytest.mark.parametrize("split", [5, 1 << 14])
+def test_ties_in_parts(docs_of, monkeypatch, run, split):
+    """A frequent signature in parts, in tasks and in memory: all repeats are found."""
     monkeypatch.setattr(substrings, "RUN", run)
+    monkeypatch.setattr(substrings, "SPLIT", split)
+    monkeypatch.setattr(substrings, "OFTEN", 4)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(k, " ".join(f"d{k}x{i}" for i in range(30)) + " " + passage) for k in range(40)]
+    assert (len(substrings.frequent(docs_of(rows).select("doc_id", "text"))[0]) > 0) == (split == 5)
     assert {r.doc_id for r in substrings.passages(docs_of(rows)).collect()} == set(range(1, 40))
 
 
+def covered(found):
+    """Words of each document that lie in a passage."""
+    words = {}
+    for k, s, e in found:
+        words.setdefault(k, set()).update(range(s, e))
+    return words
+
+
+def passages_by_brute_force(rows):
+    """Every document against every earlier one and itself, without windows."""
+    hashes, out = [(k, (substrings.shingles(t) >> np.uint64(32)).astype("<u4")) for k, t in rows], []
+    for i, (k, b) in enumerate(hashes):
+        for _, a in hashes[:i]:
+            out += [(k, s, e + 4) for s, e, *_ in substrings.verify(b, a)]
+    return covered(out)
+
+
+def test_passages_against_brute_force(docs_of, monkeypatch):
+    rng = np.random.default_rng(16)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    shared, rows = [text(int(n)) for n in rng.integers(55, 200, 12)], []
+    for k in range(70):
+        words = text(int(rng.integers(20, 120)))
+        for _ in range(int(rng.integers(0, 3))):
+            passage = list(shared[int(rng.integers(0, 12))])
+            if rng.random() < 0.5:
+                passage[int(rng.integers(0, len(passage)))] = f"edit{k}"
+            words += passage + text(int(rng.integers(5, 60)))
+        rows.append((k, " ".join(words)))
+    want = passages_by_brute_force(rows)
+    for split in (1 << 14, 4):
+        monkeypatch.setattr(substrings, "SPLIT", split)
+        monkeypatch.setattr(substrings, "OFTEN", 3)
+        got = covered((r.doc_id, r.start_word, r.end_word) for r in substrings.passages(docs_of(rows)).collect())
+        both = sum(len(w & got.get(k, set())) for k, w in want.items())
+        assert both >= 0.95 * sum(map(len, want.values())) and sum(map(len, got.values())) <= 1.05 * both
+
+
+def test_a_long_near_copy_is_one_passage(docs_of):
+    """Windows that reach over several places, far apart, and stretches that overlap are joined."""
+    base = [f"w{i}" for i in range(20_000)]
+    copy = [w if i % 400 else f"x{i}" for i, w in enumerate(base)]
+    got = substrings.passages(docs_of([(1, " ".join(base)), (2, " ".join(copy))])).collect()
+    assert len(got) == 1 and got[0].end_word - got[0].start_word >= 19_990
+    tie = [(2, 1, 0, 0, 0, 12_287), (2, 1, 1, 0, 5000, 5200)]
+    from pyspark.sql import SparkSession
+
+    frame = SparkSession.active().createDataFrame(tie, "b long, a long, f long, off long, lo long, hi long")
+    assert [(r.lo, r.hi) for r in substrings.candidates(frame).collect()] == [(0, 12_287)]
+
+
+def test_clashing_names_of_other_columns(docs_of):
+    docs = docs_of([(k, " ".join(w)) for k, w in passage_docs().items()])
+    odd_names = docs.withColumns({c: F.lit(c) for c in ("_spans", "_id", "_parts", "_words", "_doc", "_hash", "_same", "shard")})
+    left = substrings.without(odd_names, substrings.passages(odd_names))
+    assert left.columns == odd_names.columns and {r["_spans"] for r in left.collect()} == {"_spans"}
+    plain = {(r.doc_id, r.text) for r in substrings.without(docs, substrings.passages(docs)).collect()}
+    assert {(r.doc_id, r.text) for r in left.collect()} == plain
+    mixed = mixing.take(odd_names)
+    assert mixed.columns == odd_names.columns and sorted((r.doc_id, r.text) for r in mixed.collect()) == sorted((r.doc_id, r.text) for r in mixing.take(docs).collect())
+
+
 def test_passages_are_cut_out(docs_of):
     docs = docs_of([(k, " ".join(w)) for k, w in passage_docs().items()] + [(50, None), (51, "")])
     left = {r.doc_id: r for r in substrings.without(docs, substrings.passages(docs)).collect()}

@@ -177,7 +177,6 @@ def side_by_side(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             last = starts[-1]
             if busy[-1]:  # rows of a long run need not be held
                 count, last = int(sizes[-1]), len(all_)
-                edge = edge or len(starts) == 1 and edge
             out = all_[:last][whole[:last]]
             yield told(1, out[:, 2], None, out[:, 0], out[:, 1], out[:, 3])
             held = all_[last:]
