@@ -225,6 +225,31 @@ def test_compact_windows_cover_every_range_once():
                     assert has == [i + int(h[i : j + 1].argmin())]
 
 
+@pytest.mark.parametrize("rounds", [48, 1])
+def test_windows_of_many_documents_at_once(monkeypatch, rounds):
+    monkeypatch.setattr(substrings, "ROUNDS", rounds)
+    monkeypatch.setattr(substrings, "BYTES", 100)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, vocabulary, n)) for n, vocabulary in ((300, 1000), (49, 1000), (50, 1000), (200, 1), (200, 2), (400, 5))]
+    got = substrings.all_windows([*enumerate(texts), (None, texts[0]), (90, None), (91, "")])
+    want = []
+    for k, text in enumerate(texts):
+        x = substrings.shingles(text)
+        for f in range(substrings.FUNCTIONS):
+            h = substrings.mixed(x, f)
+            want += [(k, l, c, r) for l, c, r in (substrings._by_stack(h, substrings.LEAST) if len(h) else [])]
+    assert sorted(map(tuple, got[:, 1:5].tolist())) == sorted(want) and {k for k, *_ in want} == {0, 2, 3, 4, 5}
+    assert not len(substrings.all_windows([]))
+
+
+def test_words_hash_as_they_part():
+    for text in ("", " ", "a", " a  b\tc\nd\x0be\x0cf\rg\u00a0h \u00e9t\u00e9 ", "x" * 300 + " b"):
+        words = text.encode().split()
+        got = substrings.word_hashes(text)
+        assert len(got) == len(words) and got.tolist() == [substrings.word_hashes(w.decode())[0] for w in words]
+    assert len(set(substrings.word_hashes("ab ba aab aba baa a b").tolist())) == 7
+
+
 def test_stretches():
     hit = np.array([0] * 30 + [1] * 50 + [0] * 5 + [1] * 60 + [0] * 60 + [1] * 40)
     assert substrings.stretches(hit) == [(30, 145)]
